@@ -45,12 +45,16 @@ def keyed_counts(
     # a null value must not gather all rows of a key in one chunk, so such rows follow the input partition
     chunk = F.pmod(F.coalesce(F.col("h1"), F.spark_partition_id().cast("long")), F.lit(chunks)).cast("int")
     state = rows.withColumn("chunk", chunk).groupBy(*kcols, "facet", "chunk").agg(F.count_distinct("h1", "h2").alias("d"), F.sum("n").alias("n"))
+    counts = {f"d{i}": F.sum(F.when(F.col("facet") == i, F.col("d")).otherwise(0)) for i in range(len(distinct))}
     left = chunks
-    while left > fan_in:
+    while True:  # the first round also brings the facets of a chunk together
         left = -(-left // fan_in)
-        state = state.withColumn("chunk", (F.col("chunk") / fan_in).cast("int")).groupBy(*kcols, "facet", "chunk").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    counted = [F.sum(F.when(F.col("facet") == i, F.col("d")).otherwise(0)).alias(n) for i, n in enumerate(distinct)]
-    out = state.groupBy(*kcols).agg(F.sum("n").alias(count_as), *counted)
+        by = [*kcols, (F.col("chunk") / fan_in).cast("int").alias("chunk")] if left > 1 else kcols
+        state = state.groupBy(*by).agg(F.sum("n").alias("n"), *[c.alias(d) for d, c in counts.items()])
+        if left <= 1:
+            break
+        counts = {d: F.sum(d) for d in counts}
+    out = state.select(*kcols, F.col("n").alias(count_as), *[F.col(f"d{i}").alias(n) for i, n in enumerate(distinct)])
     return out.select(*[F.col(k).alias(n) for n, k in zip(names, kcols)], count_as, *distinct)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import read_table as t
 from ..runtime import stage
-from . import bpe, handwritten, leakage
+from . import bpe, handwritten, leakage, pii
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,5 +37,13 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(leakage.leaks(docs, items), docs, items)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_symbols, p1_reasons, p6_ids, p7_found, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal(t(spark, d, "documents"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(t(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_symbols, p1_reasons, p6_ids, p7_found, p7_report, p8_found, p8_redacted)}
 SQL: dict[str, str] = {}

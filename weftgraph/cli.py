@@ -74,6 +74,8 @@ class Shell:
         self.spark, self.g, self.path, self.raw = spark, None, None, False
 
     def load(self, path: str) -> CodeGraph:
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"no graph at {path}; index a source first")
         if self.g is None or self.path != path:
             self.g = (read_parquet if os.path.isdir(path) else read_json)(self.spark, path).cache()
             self.path = path
@@ -146,6 +148,8 @@ def main(args: list[str] | None = None) -> int:
         except (argparse.ArgumentError, OSError, ValueError, RuntimeError) as e:
             print(e, file=sys.stderr)
             return 1
+        except SystemExit as e:
+            return int(bool(e.code))
         return 0
     while True:
         try:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract import extract_all
 from ..functions import paths
 from ..functions.keys import call_end, symbol_key
 from ..graph import CodeGraph, first_wins, from_tables
@@ -440,3 +441,34 @@ def labelled_files(spark: SparkSession, d: str) -> DataFrame:
 def edges_by_repo(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "edges")
     return e.groupBy(edge_type(e["type"]).alias("type"), "confidence", "repo").agg(F.count("*").alias("n"))
+
+
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the extractors give for the stored contents of all files."""
+    f = t(spark, d, "source_files").filter("content is not null and rel is not null").select("rel", F.lit(0).cast("long").alias("file_seq"), paths.language(F.col("rel")).alias("lang"), F.col("content").cast("binary").alias("content"))
+    return extract_all(f.filter("lang is not null").distinct())
+
+
+@query()
+def extracted_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return _extracted(spark, d).filter("kind = 's'").select("rel", "emit", "id", "type", "language", "name", "file", "line", "metadata")
+
+
+@query()
+def extracted_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _extracted(spark, d).filter("kind = 'e'").select("rel", "emit", "type", "source", "target", "language", "confidence", "file", "line")
+
+
+@query("""with f as (select distinct rel, content from source_files where content is not null and rel is not null),
+j as (select rel, unnest(regexp_extract_all(content, '(?m)^import (?:static )?([A-Za-z_][\\w.]*\\w)', 1)) target from f where rel like '%.java'),
+g as (select rel, unnest(regexp_extract_all(content, '(?m)^import "([^"\\n]+)"', 1)) target from f where rel like '%.go')
+select rel, 'java://' || target as target, count(*) n from j group by all union all select rel, 'go://' || replace(target, '/', '.'), count(*) from g group by all""", graph=False)
+def extracted_imports(spark: SparkSession, d: str) -> DataFrame:
+    e = _extracted(spark, d).filter("kind = 'e' and type = 'IMPORTS' and language in ('go', 'java')")
+    return e.groupBy("rel", "target").agg(F.count("*").alias("n"))
+
+
+@query("select source, target, count(*) n from e where type = 'IMPORTS' group by all order by n desc, source, target limit 50")
+def top_imports(spark: SparkSession, d: str) -> DataFrame:
+    e = lookup.edges_by_type(from_tables(spark, d), "IMPORTS")
+    return e.groupBy("source", "target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "target").limit(50)

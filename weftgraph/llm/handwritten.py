@@ -44,7 +44,8 @@ _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|%|\"\"\"|''')")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _NUMBER = re.compile(r"(?<![\w$])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)\b")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
-_DEFINED = re.compile(r"\b(?:def|function|func|fn)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_]\w*)|\b(?:public|private|protected|static)\s+(?:[\w<>\[\],]+\s+)+?([A-Za-z_]\w*)\s*\(")
+_DEFINED = re.compile(r"\b(?:def|function|func|fn)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_]\w*)|\b(?:public|private|protected|static)\s+(?:[\w<>\[\],]+\s+)+?([A-Za-z_]\w*)\s*\(|^[ \t]+(?:async[ \t]+)?(?!(?:if|for|while|switch|catch|return|function|with)\b)([A-Za-z_]\w*)[ \t]*\([^()\n]*\)[ \t]*(?::[^={}\n]+)?\{", re.M)
+_COUNTED = re.compile(r"^[^=\n(]*?\b[A-Za-z]\w*?(\d+)\b[^=\n(]*:?=\s*(\d+)\s*[;,]?\s*$", re.M)
 _TYPE = re.compile(r"\b(?:class|interface|struct|enum)\s+[A-Za-z_]")
 _INNER = re.compile(r"^\s*(?:from\s+([A-Za-z_]\w*)\.([\w.]+)\s+import\b|import\s+([A-Za-z_]\w*)\.([\w.]+)\s*;?\s*$|(?:import\s+)?\"([A-Za-z_]\w*)/([\w/]+)\"\s*$)", re.M)
 _PACKAGE = re.compile(r"^\s*package\s+([A-Za-z_]\w*)\.[\w.]+\s*;", re.M)
@@ -91,7 +92,7 @@ def shape(text: str, script: bool) -> str | None:
         return "minified"
     if longest > 1000 and sum(len(x) for x in lines if len(x) > 500) > 0.8 * len(text) and len(names) > 0.05 * len(text) and sum(x.isspace() for x in text) < 0.1 * len(text):
         return "minified"
-    found = [a or b for a, b in _DEFINED.findall(strings)]
+    found = [next(filter(None, x)) for x in _DEFINED.findall(strings)]
     literal = sum(map(len, _STRING.findall(text))) + sum(map(len, _NUMBER.findall(strings)))
     if not found and not _TYPE.search(strings) and literal > 0.5 * len(text) and len(text) > 200:
         return "data"
@@ -102,6 +103,9 @@ def shape(text: str, script: bool) -> str | None:
     bare = sum(1 for x in lines if len(x) > 20 and sum(map(len, _STRING.findall(x))) + sum(map(len, _NUMBER.findall(_STRING.sub(" ", x)))) > 0.5 * len(x.strip()))
     if bare >= 12 and bare > 0.5 * len(lines):
         return "data" if not found else "generated"
+    counted = sum(a == b for a, b in _COUNTED.findall(text))
+    if counted >= 8 and counted > 0.5 * len(lines):
+        return "generated"
     ends = [re.search(r"(\d+)$", x) for x in found]
     numbers = {int(m[1]) for m in ends if m}
     if len(numbers) >= 4 and len(numbers) >= 0.6 * len(found) and max(numbers) - min(numbers) < 2 * len(numbers):

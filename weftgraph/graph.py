@@ -31,6 +31,26 @@ class CodeGraph:
     symbols: DataFrame
     edges: DataFrame
     meta: dict[str, Any] = field(default_factory=dict)
+    #: Rows of symbols before the first of an id was chosen, and of edges before repeats went, if the graph comes from such.
+    all_symbols: DataFrame | None = None
+    all_edges: DataFrame | None = None
+
+    def about(self, ids: DataFrame) -> DataFrame:
+        """The symbols of (id): only their rows are gathered, not those of the whole graph."""
+        if self.all_symbols is None:
+            return self.symbols.join(ids, "id", "left_semi")
+        return first_wins(self.all_symbols.join(ids, "id", "left_semi"))
+
+    def named(self, name: str) -> DataFrame:
+        """The symbols of exactly this name."""
+        rows = self.symbols
+        if self.all_symbols is not None:  # ids that had the name in any row; the first row of each then decides
+            rows = self.about(self.all_symbols.filter(F.col("name") == name).select("id").distinct())
+        return rows.filter((F.col("name") == name) & (F.length("name") > 0))
+
+    def steps(self) -> DataFrame:
+        """Edges, some perhaps more than once, for what repeats do not matter to; a filter or join goes straight to the scan."""
+        return self.edges if self.all_edges is None else self.all_edges
 
     def views(self, prefix: str = "") -> None:
         """Temporary views ``symbols`` and ``edges`` for SQL."""
@@ -56,11 +76,8 @@ def from_tables(spark: SparkSession, folder: str) -> CodeGraph:
     once, edges without both ends are left out."""
     s = read_table(spark, folder, "symbols").select("ord", "id", "type", "language", "name", "file", "line", "metadata")
     e = read_table(spark, folder, "edges").select("edge_id", "type", "source", "target", "language", "confidence", "file", "line")
-    row = F.struct(edge_type(F.col("type")).alias("type"), "source", "target", "language", "confidence", "file", "line")
-    edges = (
-        e.filter(F.col("source").isNotNull() & F.col("target").isNotNull())
-        .groupBy(F.col("edge_id").alias("seq"))
-        .agg(F.min(row).alias("r"))
-        .select("seq", "r.*")
+    rows = e.filter(F.col("source").isNotNull() & F.col("target").isNotNull()).select(
+        F.col("edge_id").alias("seq"), edge_type(F.col("type")).alias("type"), "source", "target", "language", "confidence", "file", "line"
     )
-    return CodeGraph(first_wins(s), edges)
+    # a repeat is a whole row, so the columns are the key and filters pass below the deduplication
+    return CodeGraph(first_wins(s), rows.distinct(), all_symbols=s, all_edges=rows)

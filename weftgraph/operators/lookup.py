@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
+from ..runtime import stage
 
 RESOLVE_LIMIT = 25
 
@@ -32,7 +33,7 @@ def probe(g: CodeGraph, needle: str) -> DataFrame:
 
 def symbols_by_name(g: CodeGraph, name: str) -> DataFrame:
     """(id, ord) of the symbols of exactly this name, by insertion; an empty name names nothing."""
-    return g.symbols.filter((F.col("name") == name) & (F.length("name") > 0)).orderBy("ord").select("id", "ord")
+    return g.named(name).orderBy("ord").select("id", "ord")
 
 
 def file_symbols(g: CodeGraph, file: str) -> DataFrame:
@@ -73,7 +74,8 @@ def _calls(g: CodeGraph, text: str, limit: int, here: str, there: str, out: str)
     ids = exact_ids(g, text) or [text]  # an end that no table holds has callers too
     hit = g.edges.filter((F.col("type") == "CALLS") & F.col(here).isin(ids))
     top = hit.orderBy(F.coalesce("confidence", F.lit("")), there, "seq").limit(limit)
-    names = g.symbols.select(F.col("id").alias(there), "name")
+    top = stage(top, "calls")
+    names = g.about(top.select(F.col(there).alias("id")).distinct()).select(F.col("id").alias(there), "name")
     return top.join(names, there, "left").select(
         F.col(there).alias(out), F.coalesce("name", there).alias(f"{out}_name"), "line", "confidence", "seq"
     ).orderBy(F.coalesce("confidence", F.lit("")), out, "seq")

@@ -52,7 +52,7 @@ def levels(steps: DataFrame, seeds: DataFrame, depth: int, most: int | None = No
 
 def _typed(g: CodeGraph, types: Iterable[str] | None, default: Iterable[str]) -> DataFrame:
     chosen = sorted(set(types or ()) or set(default))
-    return g.edges.filter(F.col("type").isin(chosen))
+    return g.steps().filter(F.col("type").isin(chosen))
 
 
 def forward(edges: DataFrame) -> DataFrame:
@@ -64,7 +64,8 @@ def backward(edges: DataFrame) -> DataFrame:
 
 
 def _described(g: CodeGraph, nodes: DataFrame) -> DataFrame:
-    names = g.symbols.select("id", "type", "name", "file")
+    nodes = stage(nodes, "described")
+    names = g.about(nodes.select("id").distinct()).select("id", "type", "name", "file")
     out = nodes.join(names, "id", "left")
     return out.withColumns({"type": F.coalesce("type", F.lit("unknown")), "name": F.coalesce("name", "id"), "file": F.coalesce("file", F.lit(""))})
 
@@ -91,7 +92,7 @@ def shortest_path(g: CodeGraph, source: str, target: str, types: Iterable[str] |
     starts = spark.createDataFrame(list(enumerate(sources)), "seq long, id string")
     steps = best.select(F.posexplode("key").alias("step", "seq"))
     first = steps.filter("step = 0").join(starts, "seq").select("step", F.lit("").alias("edge"), "id")
-    rest = edges.join(steps.filter("step > 0"), "seq").select("step", F.col("type").alias("edge"), F.col("target").alias("id"))
+    rest = edges.join(steps.filter("step > 0"), "seq").select("step", F.col("type").alias("edge"), F.col("target").alias("id")).distinct()
     return _described(g, first.unionByName(rest)).select("step", "edge", "id", "type", "name", "file").orderBy("step")
 
 
@@ -103,8 +104,8 @@ def related_files(g: CodeGraph, file: str, depth: int = 2, limit: int = 100) ->
     """(file): files of symbols within ``depth`` steps of the file's symbols over edges of any type either way, the file
     itself too, in order of name; none for an unknown file."""
     seeds = g.symbols.filter(F.col("file") == file).select("id", F.array(F.lit(0).cast("long")).alias("key"), F.lit(0).alias("depth"), F.lit("").alias("via"))
-    reached = levels(undirected(g.edges), seeds, max(0, depth))
-    files = g.symbols.filter(F.length("file") > 0).join(reached.select("id"), "id", "left_semi").select("file").distinct()
+    reached = levels(undirected(g.steps()), seeds, max(0, depth))
+    files = g.about(reached.select("id")).filter(F.length("file") > 0).select("file").distinct()
     return files.orderBy("file").limit(limit)
 
 
@@ -113,9 +114,9 @@ def neighbourhood(g: CodeGraph, text: str, depth: int = 2, limit: int = 120) ->
     ``limit`` nodes by (distance, id) count, seeds too; nodes without a symbol give no row; of parallel edges of a type the
     first stays."""
     ids = resolve_ids(g, text)
-    reached = levels(undirected(g.edges), _seeds(g.symbols.sparkSession, ids), depth, limit)
+    reached = levels(undirected(g.steps()), _seeds(g.symbols.sparkSession, ids), depth, limit)
     near = stage(reached.orderBy("depth", "id").limit(limit).select("id"), "near")
-    rows = g.symbols.join(near, "id", "left_semi").select("id", F.col("name").alias("label"), "type", F.coalesce("file", F.lit("")).alias("file"), "language").orderBy("id")
-    ends = g.edges.join(near.select(F.col("id").alias("source")), "source", "left_semi").join(near.select(F.col("id").alias("target")), "target", "left_semi")
+    rows = g.about(near).select("id", F.col("name").alias("label"), "type", F.coalesce("file", F.lit("")).alias("file"), "language").orderBy("id")
+    ends = g.steps().join(near.select(F.col("id").alias("source")), "source", "left_semi").join(near.select(F.col("id").alias("target")), "target", "left_semi")
     kept = ends.groupBy("source", "target", "type").agg(F.min(F.struct("seq", "confidence")).alias("m"))
     return rows, kept.select("source", "target", "type", F.col("m.confidence").alias("confidence"))

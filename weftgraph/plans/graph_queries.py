@@ -59,7 +59,7 @@ def busy(g: CodeGraph) -> str:
 
 def far(g: CodeGraph) -> str:
     """The first function in order of id that calls a caller of the hub."""
-    calls = g.edges.filter(F.col("type") == "CALLS")
+    calls = g.steps().filter(F.col("type") == "CALLS")
     top = hub(g)
     near = calls.filter(F.col("target") == top).select(F.col("source").alias("target"))
     return calls.filter(F.col("source") != top).join(near, "target", "left_semi").agg(F.min("source")).first()[0] or ""

@@ -81,3 +81,11 @@ def test_ends_are_exact():
     assert pii.checked(t, *at("24.555.011"), "phone") == at("724.555.0114")
     assert pii.checked(t, *at("holt AT brontide"), "email") == at("eva.holt AT brontide DOT test")
     assert pii.checked(t, *at("reach me"), "phone") is None
+
+
+def test_names_with_signs_within():
+    t = "cc Ana Sjöwick-Marl; by O'Tarrigan, Yusuf and Ines Okon's team"
+    at = lambda s: (t.index(s), t.index(s) + len(s))
+    assert pii.checked(t, *at("Ana Sjöw"), "name") == at("Ana Sjöwick-Marl")
+    assert pii.checked(t, *at("Tarrigan, Yusuf"), "name") == at("O'Tarrigan, Yusuf")
+    assert pii.checked(t, *at("Ines Okon"), "name") == at("Ines Okon")

@@ -45,6 +45,7 @@ _ADDRESS = [
     re.compile(rf"(?:C/|Calle|Avda\.?|Avenida|Plaza|Paseo|Camino)\s?(?:[\w'’]+\s+){{1,5}}\d+(?:\s?[a-z]\b)?\s*,?\s+\d{{5}}\s+{_PLACE}"),
 ]
 _TITLE = re.compile(r"^(?:(?:Frau|Herrn?|Mrs?|Ms|Dr|Prof|Sir|Madame|Mme|Monsieur|Señora?|Sra?|Don|Doña)\b\.?\s+)+", re.I)
+_PARTICLES = {"van", "von", "de", "del", "della", "der", "den", "di", "da", "do", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "zu", "y", "e"}
 _EDGE = " \t\r\n,;:.!?\"'()[]{}<>|/*#=-–"
 
 
@@ -96,14 +97,22 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         if span:
             return span
         a, b = _words(text, a, b)
-        return (a, b) if b - a >= 10 and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b]) else None
+        parted = re.search(r",|\n| [-–] ", text[a:b]) and not re.search(r"[(){}=]", text[a:b])
+        return (a, b) if b - a >= 10 and parted and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b]) else None
     a, b = _words(text, a, b)
+    # a name goes on over hyphens and apostrophes within its words
+    while b + 1 < len(text) and text[b] in "-'’" and text[b + 1].isalpha() and not re.match(r"['’][sS]\b", text[b:]):
+        b = _words(text, a, b + 2)[1]
+    while a > 1 and text[a - 1] in "-'’" and text[a - 2].isalpha():
+        a = _words(text, a - 2, b)[0]
     if m := _TITLE.match(text[a:b]):
         a += m.end()
     if text[a:b].endswith(("'s", "’s")):
         b -= 2
     words = [w for w in re.split(r"[\s,]+", text[a:b]) if w]
-    good = len(words) >= 2 and all(w[0].isalpha() for w in words) and sum(len(w.strip(".")) > 1 for w in words) >= 1
+    # a name has capitals in all its words, or in none; particles aside
+    cases = {w[0].isupper() for w in words if w.lower() not in _PARTICLES and (w[0].isupper() or w[0].islower())}
+    good = len(words) >= 2 and len(cases) == 1 and all(w[0].isalpha() for w in words) and sum(len(w.strip(".")) > 1 for w in words) >= 1
     return (a, b) if good and not re.search(r"[\d@_/=:;|<>(){}]", text[a:b]) and len(words) <= 6 else None
 
 

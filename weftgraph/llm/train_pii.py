@@ -8,6 +8,7 @@ background of generated labelled text.
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import sys
@@ -44,6 +45,12 @@ def labels(size: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return y
 
 
+def save(out: str, p: dict[str, np.ndarray]) -> None:
+    """Half-precision weights; a reader sees the old file or the new one."""
+    np.savez(f"{out}.new.npz", **{k: v.astype(np.float16) for k, v in p.items()})
+    os.replace(f"{out}.new.npz", out)
+
+
 def main(folder: str, minutes: float = 10, fresh: bool = True, out: str = WEIGHTS) -> None:
     lines = background(folder)
     print(len(lines), "lines of background", flush=True)
@@ -72,8 +79,8 @@ def main(folder: str, minutes: float = 10, fresh: bool = True, out: str = WEIGHT
         mean = value if step == 1 else 0.98 * mean + 0.02 * value
         if step % 100 == 0:
             print(step, round(mean, 5), round(time.time() - began), flush=True)
-            np.savez(out, **{k: v.astype(np.float16) for k, v in p.items()})
-    np.savez(out, **{k: v.astype(np.float16) for k, v in p.items()})
+            save(out, p)
+    save(out, p)
 
 
 if __name__ == "__main__":

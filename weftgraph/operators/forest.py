@@ -94,9 +94,9 @@ def _solve(nodes: DataFrame, rows: int, level: int, paths: bool) -> DataFrame:
     parts = 1 if last else partitions_for(spark, rows, PART_NODES)
     # coarser fragments at every level: chains that left theirs before meet their parents again
     frag = F.lit(0).cast("long") if last else F.pmod(F.xxhash64(locality(F.col("id"), level)), F.lit(parts))
-    if not last:  # pieces of a module that alone has more nodes than a partition should
+    if not last:  # pieces of a module that alone has more nodes than a partition should; there are at most rows / PART_NODES
         heavy = nodes.groupBy(locality(F.col("id"), level).alias("loc")).count().filter(F.col("count") > PART_NODES).select("loc")
-        nodes = nodes.withColumn("loc", locality(F.col("id"), level)).join(heavy.withColumn("heavy", F.lit(True)), "loc", "left").drop("loc")
+        nodes = nodes.withColumn("loc", locality(F.col("id"), level)).join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "loc", "left").drop("loc")
         frag = F.when(F.col("heavy"), F.pmod(F.xxhash64("id", F.lit(level)), F.lit(parts))).otherwise(frag)
         nodes = nodes.withColumn("frag", frag).drop("heavy")
     else:

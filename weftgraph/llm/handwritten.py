@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import partitions_for, stage
 
 # What tools and copied files say of themselves in a header. One of these is enough.
 NOTICES = {
@@ -39,6 +39,8 @@ MINIFIED = re.compile(r"(?i)[.\-_](?:min|bundle|packed|prod)\.(?:js|mjs|cjs|css|
 
 #: Five-word shingles; hashes of a signature's bands and rows; containment that makes a copy; least shingles to judge.
 SHINGLE, BANDS, ROWS, SIMILAR, LEAST_SHINGLES = 5, 40, 6, 0.8, 20
+#: Files of a partition.
+FILES = 1500
 
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|%|\"\"\"|''')")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
@@ -196,6 +198,23 @@ def _containment(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) / max(1, min(len(x), len(y))) for x, y in zip(a, b)])
 
 
+def _leaders(keys: DataFrame) -> DataFrame:
+    """(body, y): bodies not yet explained with the leaders of their bands."""
+    who = F.struct("repo", "body")
+    free = F.when(~F.col("own"), who)
+    lead = keys.groupBy("band").agg(F.min(F.when(F.col("other"), F.col("body"))).alias("known"), F.min(free).alias("first"), F.max(free).alias("last"))
+    x = keys.filter(~F.col("other")).join(lead, "band")
+    apart = lambda c: F.when(~F.col("own") & (F.col(f"{c}.repo") != F.col("repo")), F.col(f"{c}.body"))
+    return x.select("body", F.explode(F.array_compact(F.array("known", apart("first"), apart("last")))).alias("y")).filter(F.col("body") != F.col("y"))
+
+
+def _near(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(body): bodies of pairs (body, y) that are similar enough."""
+    s = bodies.select("body", "shingles")
+    both = pairs.distinct().join(s.select("body", F.col("shingles").alias("sx")), "body").join(s.select(F.col("body").alias("y"), F.col("shingles").alias("sy")), "y")
+    return both.filter(F.pandas_udf(_containment, "double")("sx", "sy") >= SIMILAR).select("body").distinct()
+
+
 def not_handwritten(files: DataFrame) -> DataFrame:
     """(rel, reason), one row for each file that was not written by hand for its repository.
 
@@ -206,9 +225,13 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     null content or rel are no case; a file with several versions is a case if one of them is.
 
     Copies: distinct bodies, not files, are compared, so a body copied everywhere is one row. Candidates share a band of
-    their minimum-hash signature; only a body not yet explained meets a body of another project or repository.
+    their minimum-hash signature. A body first meets only the leaders of its bands (one of another project, two of the
+    farthest repositories), so a group of very many variants makes no more pairs than it has bands; only a body that no
+    leader explains then meets all others of its bands.
     """
-    text = files.select("rel", "repo", "content").filter(F.col("rel").isNotNull() & (F.length("content") > 0)).distinct()
+    text = files.select("rel", "repo", "content").filter(F.col("rel").isNotNull() & (F.length("content") > 0))
+    # spread by turns, whatever the keys: the work is in Python, and one large partition would be one slow task
+    text = text.repartition(partitions_for(files.sparkSession, files.count(), FILES))
     judged = stage(
         text.mapInPandas(_judge, "rel string, repo string, reason string, other boolean, own boolean, body long, shingles array<long>, bands array<long>"),
         "files-judged",
@@ -218,14 +241,14 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     )
     kept = judged.filter(F.col("body").isNotNull()).select("body", "shingles", "bands").dropDuplicates(["body"])
     bodies = stage(bodies.join(kept, "body"), "bodies")
-    keys = bodies.select("body", "other", "own", "repo", F.explode("bands").alias("band"))
-    a = keys.filter(~F.col("other")).select("band", F.col("body").alias("x"), F.col("repo").alias("xr"), F.col("own").alias("xo"))
-    b = keys.select("band", F.col("body").alias("y"), F.col("repo").alias("yr"), "other", F.col("own").alias("yo"))
-    met = (F.col("x") != F.col("y")) & (F.col("other") | ((F.col("xr") != F.col("yr")) & ~F.col("xo") & ~F.col("yo")))
-    pairs = a.join(b, "band").filter(met).select("x", "y").distinct()
-    s = bodies.select("body", "shingles")
-    close = pairs.join(s.select(F.col("body").alias("x"), F.col("shingles").alias("sx")), "x").join(s.select(F.col("body").alias("y"), F.col("shingles").alias("sy")), "y")
-    close = close.filter(F.pandas_udf(_containment, "double")("sx", "sy") >= SIMILAR).select(F.col("x").alias("body"))
+    keys = stage(bodies.select("body", "other", "own", "repo", F.explode("bands").alias("band")), "bands")
+    near = stage(_near(bodies, _leaders(keys)), "copies-1")
+    # what no leader of its bands explains meets all others of its bands
+    rest = keys.join(near, "body", "left_anti")
+    met = F.col("other_y") | ((F.col("repo") != F.col("repo_y")) & ~F.col("own") & ~F.col("own_y"))
+    right = keys.select("band", F.col("body").alias("y"), F.col("repo").alias("repo_y"), F.col("other").alias("other_y"), F.col("own").alias("own_y"))
+    pairs = rest.filter(~F.col("other")).join(right, "band").filter((F.col("body") != F.col("y")) & met).select("body", "y")
+    close = near.unionByName(_near(bodies, pairs))
     spread = bodies.filter(~F.col("own") & ~F.col("other") & (F.col("repo") != F.col("repo2"))).select("body")
     same = bodies.filter(F.col("other")).select("body")  # the very body elsewhere is known to be another project's
     copied = close.unionByName(spread).unionByName(same).distinct()

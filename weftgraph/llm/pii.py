@@ -157,15 +157,15 @@ def load(path: str = WEIGHTS) -> dict:
 
 def _spread(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text")
-    return docs.repartition(partitions_for(docs.sparkSession, docs.count(), ROWS), "doc_id", F.xxhash64("text"))
+    return docs.repartition(partitions_for(docs.sparkSession, docs.count(), ROWS))
 
 
 def personal(documents: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     """(doc_id, kind, found), distinct: what each text has of personal information.
 
     kind: email, phone, id_number, address or name; found: the exact piece of the text. Texts are read whole; null and
-    empty ones have nothing. Rows are spread by key, so neither a hot source nor long texts side by side make a slow task;
-    the weights, of fixed size, are broadcast.
+    empty ones have nothing. Rows are spread by turns, so no hot key and no long texts side by side make a slow task; the
+    weights, of fixed size, are broadcast.
     """
     w = documents.sparkSession.sparkContext.broadcast(load(weights))
 

@@ -49,7 +49,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, always: DataFrame) ->
     certain = tested.filter(~F.col("maybe")).select("tbl", "row_id", "field", "at", F.lit("missing").alias("reason"))
     lived = parents.select(F.col("id").alias("ref"), "start", "stop", "open")
     holds = (tested["ref"] == lived["ref"]) & (lived["start"] <= tested["at"]) & (lived["open"] | (tested["at"] < lived["stop"]))
-    left = tested.filter("maybe").join(lived, holds, "left_anti")
+    # written by itself, so that adaptive execution may split the hot references of this join; a join after it would forbid that
+    left = stage(tested.filter("maybe").join(lived, holds, "left_anti"), "orphans")
     first = parents.groupBy(F.col("id").alias("ref")).agg(F.min("start").alias("first"))
     reason = F.when(F.col("first").isNull(), "missing").when(F.col("first") > F.col("at"), "late").otherwise("deleted")
     verified = left.join(first, "ref", "left").select("tbl", "row_id", "field", "at", reason.alias("reason"))

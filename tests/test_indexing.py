@@ -142,6 +142,14 @@ def test_accuracy_run(spark, tmp_path):
     assert silent.failure == "no calls were observed"
 
 
-def test_addresses():
+def test_addresses(spark):
+    from weftgraph.functions.paths import hosted_repository, language, module_name
+
+    urls = ["https://github.com/a/b", "http://WWW.github.com/a/b.git/tree/x", "https://github.com/a", "https://example.org/a/b", "/tmp", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(hosted_repository(df.u)).collect()] == ["https://github.com/a/b.git"] * 2 + [None] * 4
+    df = spark.createDataFrame([(r,) for r in ("a/b.PY", "a/__init__.py", "build/x.py", "x.tar.go", ".py", "a/b.py", None)], "rel string")
+    assert [r[0] for r in df.select(language(df.rel)).collect()] == ["python", "python", "python", "go", None, "python", None]
+    assert [r[0] for r in df.select(module_name(df.rel)).collect()] == [None, "a", None, None, None, "a.b", None]
     assert hosted("https://github.com/a/b") == hosted("http://www.github.com/a/b.git/tree/x") == "https://github.com/a/b.git"
     assert hosted("https://github.com/a") is None and hosted("https://example.org/a/b") is None and hosted("/tmp") is None

@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Language of each file suffix.
-LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript", ".mjs": "typescript", ".go": "go", ".java": "java"}
+LANGUAGES = {".py": "python", ".js": "typescript", ".mjs": "typescript", ".cjs": "typescript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go"}
 # Directory names that a scan leaves out unless it is given others.
-EXCLUDED = (".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "dist", "build", "target", "__pycache__", ".mypy_cache", ".pytest_cache", ".tox", "tmp")
+EXCLUDED = (".git", ".hg", ".svn", "tmp", ".venv", "venv", "node_modules", "dist", "build", "target", "__pycache__", ".mypy_cache", ".pytest_cache", ".idea", ".vscode")
 
 
 def suffix(rel: Column) -> Column:
@@ -29,6 +29,14 @@ def excluded(rel: Column, names: list[str] | tuple[str, ...] = ()) -> Column:
     return F.arrays_overlap(F.split(rel, "/"), F.array(*[F.lit(x) for x in sorted(set(names) or set(EXCLUDED))]))
 
 
+def module_name(rel: Column, names: list[str] | tuple[str, ...] = ()) -> Column:
+    """Dotted module of a Python file as a trace names it: a package without __init__; null for other files, for left-out
+    folders and for a package at the root."""
+    stem = F.regexp_replace(F.regexp_replace(rel, r"\.py$", ""), r"(^|/)__init__$", "")
+    good = rel.endswith(".py") & ~excluded(rel, names) & (F.length(stem) > 0)
+    return F.when(good, F.replace(stem, F.lit("/"), F.lit(".")))
+
+
 def hosted_repository(url: Column) -> Column:
     """Clone address of an http(s) address of a repository on github.com, else null."""
     host = F.lower(F.regexp_extract(url, r"^https?://([^/?#]+)", 1))

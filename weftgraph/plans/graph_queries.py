@@ -284,7 +284,7 @@ def file_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select distinct rel, case lower(regexp_extract(rel, '[^/](\\.[^./]+)$', 1)) when '.py' then 'python' when '.go' then 'go' when '.java' then 'java'
-  when '.ts' then 'typescript' when '.tsx' then 'typescript' when '.js' then 'typescript' when '.jsx' then 'typescript' when '.mjs' then 'typescript' end as language
+  when '.ts' then 'typescript' when '.tsx' then 'typescript' when '.js' then 'typescript' when '.cjs' then 'typescript' when '.mjs' then 'typescript' end as language
 from source_files where rel is not null and len(list_intersect(string_split(rel, '/'), (select list(dir_name) from exclude_dirs))) = 0""", graph=False)
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
     names = [r[0] for r in t(spark, d, "exclude_dirs").select("dir_name").filter("dir_name is not null").distinct().collect()]
@@ -292,6 +292,14 @@ def scan_files(spark: SparkSession, d: str) -> DataFrame:
     return f.filter(~paths.excluded(F.col("rel"), names)).select("rel", paths.language(F.col("rel")).alias("language")).distinct()
 
 
+@query("""select distinct rel, replace(regexp_replace(regexp_replace(rel, '\\.py$', ''), '(^|/)__init__$', ''), '/', '.') as module from source_files
+where rel like '%.py' and len(list_intersect(string_split(rel, '/'), (select list(dir_name) from exclude_dirs))) = 0 and regexp_replace(regexp_replace(rel, '\\.py$', ''), '(^|/)__init__$', '') <> ''""", graph=False)
+def module_names(spark: SparkSession, d: str) -> DataFrame:
+    names = [r[0] for r in t(spark, d, "exclude_dirs").select("dir_name").filter("dir_name is not null").distinct().collect()]
+    f = t(spark, d, "source_files").select("rel", paths.module_name(F.col("rel"), names).alias("module"))
+    return f.filter(F.col("module").isNotNull()).distinct()
+
+
 def _key_sql(c: str) -> str:
     rest = f"substr({c}, 10)"
     m = f"case when strpos({rest}, ':') > 0 then split_part({rest}, ':', 1) else regexp_extract({rest}, '^(.*)\\.[^.]*$', 1) end"

@@ -53,4 +53,6 @@ def parse_labels(text: str, name: str) -> list[tuple[str, str, str, int]]:
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         rows = parse_labels(f.read(), os.path.basename(path))
+    if not rows:
+        raise ValueError(f"{os.path.basename(path)}: it has no labels")
     return spark.createDataFrame(rows, "caller_file string, caller_qualname string, callee string, seq long")

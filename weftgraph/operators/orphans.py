@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom
 from ..runtime import small_enough, stage
+from .keyed_tree import frequent_keys, key_hash
+
+#: Parts of the references of a hot id.
+SALTS = 32
+#: The end of what still lives, after all other times.
+EVER = "9999-12-31 23:59:59.999999"
 
 
 def references(df: DataFrame, table: str, row_id: Column, when: Column, fields: dict[str, Column]) -> DataFrame:
@@ -25,35 +33,55 @@ def orphan_references(refs: DataFrame, parents: DataFrame, always: DataFrame) ->
     parents: (id, start, stop), a row for each time that a parent lived, stop exclusive, null while it lives. always: (id),
     parents that always live. reason: missing if no parent has the id, late if all of the id's rows start after the
     reference, else deleted. A reference of unknown time holds only for parents that always live; its reason is missing
-    or deleted and its period null. Null ids of parents match nothing.
+    or deleted and its period null. Null ids of parents match nothing. Ids are compared by 128 bits of hash.
 
-    A broadcast Bloom filter of all parent ids proves most orphans missing without a join, hot ones too; its size is
-    bounded. Only references that it lets pass are joined, on the exact id. A hot reference side is split by adaptive
-    execution; a parent's rows are first combined to one for each start.
+    Broadcast Bloom filters of all parent ids, as many as the ids need and each of bounded size, prove most orphans missing
+    where they lie, hot ones too; each filter is a pass over the references of its slice of the hashes. What passes meets
+    the lives by the exact id: references and lives of an id are sorted by time together and the latest end so far tells
+    whether one lives, so no reference is compared with every life. Ids with more than 1 in SUMMARY of the references are
+    split into SALTS parts, each with the id's lives.
     """
     spark = refs.sparkSession
-    refs = refs.select("tbl", "row_id", "field", "ref", "at").distinct()
-    parents = (
-        parents.filter(F.col("id").isNotNull() & F.col("start").isNotNull())
-        .groupBy("id", "start")
-        .agg(F.max(F.col("stop").isNull()).alias("open"), F.max("stop").alias("stop"))
+    h1, h2 = bloom.hashes(F.col("ref"))
+    refs = refs.select("tbl", "row_id", "field", "at", h1.alias("h1"), h2.alias("h2"))
+    p1, p2 = bloom.hashes(F.col("id"))
+    lives = parents.filter(F.col("id").isNotNull() & F.col("start").isNotNull()).select(p1.alias("h1"), p2.alias("h2"), "start", F.coalesce("stop", F.lit(EVER).cast(parents.schema["stop"].dataType)).alias("stop"))
+    lives = stage(lives.groupBy("h1", "h2", "start").agg(F.max("stop").alias("stop")), "parents")
+    fixed = always.filter(F.col("id").isNotNull()).select(p1.alias("h1"), p2.alias("h2")).distinct()
+    open_ = refs.join(F.broadcast(fixed) if small_enough(fixed) else fixed, ["h1", "h2"], "left_anti")
+    keys = lives.select("h1", "h2").distinct()
+    rows = lives.count()  # at least as many as ids
+    n = bloom.slices(rows)
+    slice_ = F.pmod(F.shiftright("h1", 20), F.lit(n))
+    passed, certain = [], []
+    for k in range(n):
+        words = bloom.build(keys.filter(slice_ == k), "h1", "h2", -(-rows // n))
+        own = open_.filter(slice_ == k) if n > 1 else open_
+        tested = own.withColumn("maybe", bloom.might_contain(spark.sparkContext.broadcast(words), F.col("h1"), F.col("h2")))
+        passed.append(tested.filter("maybe").drop("maybe"))
+        certain.append(tested.filter(~F.col("maybe")).select("tbl", "row_id", "field", "at", F.lit("missing").alias("reason")))
+    passed, certain = reduce(DataFrame.unionByName, passed), reduce(DataFrame.unionByName, certain)
+
+    hot = frequent_keys(refs, [F.col("h1"), F.col("h2")])  # at most SUMMARY rows
+    k1, k2 = key_hash([F.col("h1"), F.col("h2")])
+    hot = F.broadcast(hot.select(F.col("k1").alias("hot1"), F.col("k2").alias("hot2")))
+    is_hot = (k1 == F.col("hot1")) & (k2 == F.col("hot2"))
+    spread = passed.join(hot, is_hot, "left").withColumn("salt", F.when(F.col("hot1").isNotNull(), F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(F.col("hot1").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = lives.join(hot, is_hot, "left").withColumn("salt", F.explode(salts))
+    events = spread.select("h1", "h2", "salt", "at", F.lit(None).cast(lives.schema["stop"].dataType).alias("stop"), "tbl", "row_id", "field").unionByName(
+        copies.select("h1", "h2", "salt", F.col("start").alias("at"), "stop"), allowMissingColumns=True
     )
-    always = always.filter(F.col("id").isNotNull()).select("id").distinct()
-    parents = stage(parents, "parents")
-    rows = parents.count() + always.count()
-    words = bloom.build(parents.select("id").unionByName(always), "id", rows)
-    filter_ = spark.sparkContext.broadcast(words)
-    always = always.withColumnRenamed("id", "ref")
-    tested = refs.join(F.broadcast(always) if small_enough(always) else always, "ref", "left_anti").withColumn("maybe", bloom.might_contain(filter_, F.col("ref")))
-    tested = stage(tested, "references")
-    certain = tested.filter(~F.col("maybe")).select("tbl", "row_id", "field", "at", F.lit("missing").alias("reason"))
-    lived = parents.select(F.col("id").alias("ref"), "start", "stop", "open")
-    holds = (tested["ref"] == lived["ref"]) & (lived["start"] <= tested["at"]) & (lived["open"] | (tested["at"] < lived["stop"]))
-    # written by itself, so that adaptive execution may split the hot references of this join; a join after it would forbid that
-    left = stage(tested.filter("maybe").join(lived, holds, "left_anti"), "orphans")
-    first = parents.groupBy(F.col("id").alias("ref")).agg(F.min("start").alias("first"))
-    reason = F.when(F.col("first").isNull(), "missing").when(F.col("first") > F.col("at"), "late").otherwise("deleted")
-    verified = left.join(first, "ref", "left").select("tbl", "row_id", "field", "at", reason.alias("reason"))
+    # a life that begins at the very time of a reference goes before it; unknown times go first
+    before = Window.partitionBy("h1", "h2", "salt").orderBy("at", F.col("stop").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = events.withColumn("until", F.max("stop").over(before)).filter(F.col("tbl").isNotNull())
+    left = met.filter(F.col("until").isNull() | (F.col("at") >= F.col("until"))).select("tbl", "row_id", "field", "at", "h1", "h2", F.col("until").isNotNull().alias("once"))
+    left = stage(left, "orphans")
+    # those that met no life before: the id lives later, has only unknown times or was let pass by mistake
+    known = keys.withColumn("known", F.lit(True))
+    unmet = left.filter(~F.col("once")).join(known, ["h1", "h2"], "left")
+    reason = F.when(F.col("known").isNull(), "missing").when(F.col("at").isNull(), "deleted").otherwise("late")
+    verified = left.filter("once").select("tbl", "row_id", "field", "at", F.lit("deleted").alias("reason")).unionByName(unmet.select("tbl", "row_id", "field", "at", reason.alias("reason")))
     return certain.unionByName(verified).select("tbl", F.date_format("at", "yyyy-MM").alias("period"), "row_id", "field", "reason").distinct()
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import partitions_for, stage
+from ..runtime import partitions_for, small_enough, stage
 from .keyed_tree import edge_type
 
 #: Nodes that one partition contracts at a time.
@@ -95,13 +95,14 @@ def _solve(nodes: DataFrame, rows: int, level: int, paths: bool) -> DataFrame:
     # coarser fragments at every level: chains that left theirs before meet their parents again
     frag = F.lit(0).cast("long") if last else F.pmod(F.xxhash64(locality(F.col("id"), level)), F.lit(parts))
     if not last:  # pieces of a module that alone has more nodes than a partition should; there are at most rows / PART_NODES
-        heavy = nodes.groupBy(locality(F.col("id"), level).alias("loc")).count().filter(F.col("count") > PART_NODES).select("loc")
-        nodes = nodes.withColumn("loc", locality(F.col("id"), level)).join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "loc", "left").drop("loc")
+        heavy = nodes.groupBy(locality(F.col("id"), level).alias("loc")).count().filter(F.col("count") > PART_NODES).select("loc", F.lit(True).alias("heavy"))
+        heavy = F.broadcast(heavy) if small_enough(heavy) else heavy
+        nodes = nodes.withColumn("loc", locality(F.col("id"), level)).join(heavy, "loc", "left").drop("loc")
         frag = F.when(F.col("heavy"), F.pmod(F.xxhash64("id", F.lit(level)), F.lit(parts))).otherwise(frag)
         nodes = nodes.withColumn("frag", frag).drop("heavy")
     else:
         nodes = nodes.withColumn("frag", frag)
-    local = stage(nodes.repartition(parts, "frag").mapInPandas(_contract(paths), _LOCAL), f"forest-{level}")
+    local = stage(nodes.repartitionById(parts, F.col("frag").cast("int")).mapInPandas(_contract(paths), _LOCAL), f"forest-{level}")
     pending = local.filter((F.col("st") == "X") & (F.col("id") == F.col("exit")))
     count = pending.count()
     known = local.filter(F.col("st") != "X").select("id", "next", "entry", "st", "root", "depth", "up")
@@ -142,7 +143,7 @@ def _solve(nodes: DataFrame, rows: int, level: int, paths: bool) -> DataFrame:
         entries = ring.select(F.col("entry").alias("id")).withColumn("marked", F.lit(True))
         chains = open_.filter(F.col("sst") == "C").select("id", "next", "frag").join(entries.distinct(), "id", "left")
         chains = chains.withColumn("marked", F.coalesce("marked", F.lit(False)))
-        on_ring = chains.repartition(parts, "frag").mapInPandas(_walk, "id string").withColumn("ring", F.lit(True))
+        on_ring = chains.repartitionById(parts, F.col("frag").cast("int")).mapInPandas(_walk, "id string").withColumn("ring", F.lit(True))
     up = F.concat("up", "sup") if paths else F.lit(None).cast("array<string>")
     opened = open_.join(on_ring, "id", "left") if on_ring is not None else open_.withColumn("ring", F.lit(None).cast("boolean"))
     opened = opened.select(
@@ -161,7 +162,7 @@ def _double(nodes: DataFrame, paths: bool) -> DataFrame:
     then are on it."""
     n = nodes.count()
     state = nodes.select("id", F.coalesce("next", "id").alias("to"), "w", F.col("next").isNull().alias("end"), F.col("seg").alias("up"))
-    for k in range(max(1, n.bit_length())):
+    for k in range(n.bit_length() + 2):  # one more to see that the end is one
         o = state.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("w").alias("w2"), F.col("end").alias("end2"), F.col("up").alias("up2"))
         step = state.filter(~F.col("end")).join(o, "to")
         up = F.when(F.col("end2") & (F.col("to") == F.col("to2")), F.col("up")).otherwise(F.concat("up", "up2")) if paths else F.col("up")
@@ -229,5 +230,7 @@ def descendants(nodes: DataFrame) -> DataFrame:
 
 def descendant_counts(nodes: DataFrame) -> DataFrame:
     """(id, root, depth, path, n_descendants) of all nodes; path joined by ' > ', null and 0 for rootless nodes."""
-    n = descendants(nodes).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
+    # leaves are first counted at their parents, so only parents' paths are taken apart
+    sizes = nodes.filter(F.col("path").isNotNull() & (F.col("depth") > 0)).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"))
+    n = nodes.join(sizes, "id").select(F.explode("path").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n_descendants"))
     return nodes.join(n, "id", "left").select("id", "root", "depth", F.array_join("path", " > ").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))

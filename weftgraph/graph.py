@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,12 +41,17 @@ class CodeGraph:
             return self.symbols.join(ids, "id", "left_semi")
         return first_wins(self.all_symbols.join(ids, "id", "left_semi"))
 
+    def where(self, condition: Column) -> DataFrame:
+        """The symbols for which the condition holds. It goes to the scan first: only ids that meet it in any of their rows are
+        gathered, then the first row of each decides."""
+        rows = self.symbols
+        if self.all_symbols is not None:
+            rows = self.about(self.all_symbols.filter(condition).select("id").distinct())
+        return rows.filter(condition)
+
     def named(self, name: str) -> DataFrame:
         """The symbols of exactly this name."""
-        rows = self.symbols
-        if self.all_symbols is not None:  # ids that had the name in any row; the first row of each then decides
-            rows = self.about(self.all_symbols.filter(F.col("name") == name).select("id").distinct())
-        return rows.filter((F.col("name") == name) & (F.length("name") > 0))
+        return self.where((F.col("name") == name) & (F.length("name") > 0))
 
     def steps(self) -> DataFrame:
         """Edges, some perhaps more than once, for what repeats do not matter to; a filter or join goes straight to the scan."""

@@ -18,7 +18,7 @@ def _holds(needle: str) -> Column:
 
 def matching(g: CodeGraph, needle: str) -> DataFrame:
     """Symbols whose name or id has the needle, whatever the case; no character of it is a wildcard."""
-    return g.symbols.filter(_holds(needle))
+    return g.where(_holds(needle))
 
 
 def find_symbol(g: CodeGraph, needle: str, limit: int = 20) -> DataFrame:
@@ -28,7 +28,7 @@ def find_symbol(g: CodeGraph, needle: str, limit: int = 20) -> DataFrame:
 
 def probe(g: CodeGraph, needle: str) -> DataFrame:
     """(id): the first symbol in insertion order whose id or name has the needle, case included."""
-    return g.symbols.filter(F.contains("id", F.lit(needle)) | F.contains("name", F.lit(needle))).orderBy("ord").limit(1).select("id")
+    return g.where(F.contains("id", F.lit(needle)) | F.contains("name", F.lit(needle))).orderBy("ord").limit(1).select("id")
 
 
 def symbols_by_name(g: CodeGraph, name: str) -> DataFrame:
@@ -38,7 +38,7 @@ def symbols_by_name(g: CodeGraph, name: str) -> DataFrame:
 
 def file_symbols(g: CodeGraph, file: str) -> DataFrame:
     """(id) of the symbols of a file."""
-    return g.symbols.filter(F.col("file") == file).select("id")
+    return g.where(F.col("file") == file).select("id")
 
 
 def exact_ids(g: CodeGraph, text: str, limit: int | None = None) -> list[str]:

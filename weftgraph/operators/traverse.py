@@ -103,7 +103,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 def related_files(g: CodeGraph, file: str, depth: int = 2, limit: int = 100) -> DataFrame:
     """(file): files of symbols within ``depth`` steps of the file's symbols over edges of any type either way, the file
     itself too, in order of name; none for an unknown file."""
-    seeds = g.symbols.filter(F.col("file") == file).select("id", F.array(F.lit(0).cast("long")).alias("key"), F.lit(0).alias("depth"), F.lit("").alias("via"))
+    seeds = g.where(F.col("file") == file).select("id", F.array(F.lit(0).cast("long")).alias("key"), F.lit(0).alias("depth"), F.lit("").alias("via"))
     reached = levels(undirected(g.steps()), seeds, max(0, depth))
     files = g.about(reached.select("id")).filter(F.length("file") > 0).select("file").distinct()
     return files.orderBy("file").limit(limit)

@@ -39,7 +39,7 @@ class _File:
             if t.kind != "name" or t.text != "import" or s.depth[i] or s.at(i + 1) in ("(", "."):
                 continue
             k = i + 1
-            while k < len(s.tokens) and not s.is_text(k) and s.at(k) != ";" and k < i + 400:
+            while k < len(s.tokens) and not s.is_text(k) and s.at(k) != ";":
                 k += 1
             if not s.is_text(k) or not s.string(k):
                 continue

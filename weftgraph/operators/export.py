@@ -23,9 +23,10 @@ def visual(g: CodeGraph, limit: int = VISUAL_LIMIT) -> tuple[DataFrame, DataFram
 
 
 def dashboard(g: CodeGraph, title: str, limit: int = VISUAL_LIMIT) -> str:
-    """A page that lists and searches the exported nodes; bounded by ``limit`` nodes."""
+    """A page that lists and searches the exported nodes, with every link between them; bounded by ``limit`` nodes, of parallel
+    links each is there. Links come to the driver partition by partition."""
     nodes, links = visual(g, limit)
-    payload = {"nodes": [r.asDict() for r in nodes.collect()], "links": [{k: r[k] for k in ("source", "target", "type")} for r in links.orderBy("seq").limit(4 * limit).collect()]}
+    payload = {"nodes": [r.asDict() for r in nodes.collect()], "links": [{k: r[k] for k in ("source", "target", "type")} for r in links.orderBy("seq").toLocalIterator()]}
     data = json.dumps(payload, ensure_ascii=False, sort_keys=True).replace("</", "<\\/")
     return f"""<!doctype html>
 <meta charset="utf-8"><title>{title}</title>

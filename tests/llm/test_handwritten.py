@@ -60,3 +60,41 @@ def test_bands_meet_for_similar_bodies():
     near = a.replace("cargo", "carg0", 3)
     meet = lambda x, y: bool(set(h.bands(h.shingles(x))) & set(h.bands(h.shingles(y))))
     assert meet(a, near) and not meet(a, body(9, 30))
+
+
+def told(rel, repo, text):
+    return h.judge(rel, repo, text, h.automaton())[:2]
+
+
+def test_notices_name_tools_and_releases():
+    code = f"from alpha_1.core import x\n{body(11)}"
+    for head in (
+        "# Created by schemagen 2.7\n", "// generated with protoc-gen-go v1.26.0\n", "# Diese Datei wurde von bauwerk erstellt.\n", "# Ce fichier a été généré par outil\n",
+        "# Este archivo fue generado con herramienta\n", "# source: a/b.proto\n# built with: pbgen\n", "/* " + "x" * 5000 + " automatically generated by abc */\n", "# a\n" * 200 + "# Code generated by abc. DO NOT EDIT.\n",
+    ):
+        assert told("alpha_1/a.py", "alpha_1", head + code) == ("generated", "notice"), head[:60]
+    for head in ("/*! jquery v3.5.1 | (c) OpenJS */\n", "# leftpad 1.2.0 Copyright 2019 Somebody\n", '"""tarlib v2.0.1, licensed under MIT"""\n', "# vendored from https://x.example/y\n"):
+        assert told("alpha_1/a.py", "alpha_1", head + body(11)) == ("copied", "notice"), head
+    for head in ("# Copyright 2024 alpha_1 contributors\n", "# alpha_1 v1.2 (c) 2024\n", "# Writes the file that was generated before.\n", "# Written by hand, with care\n", "# needs python 3.12 or later\n", "# Reads vendored files.\n"):
+        assert told("alpha_1/a.py", "alpha_1", head + code) == (None, None), head
+    assert told("alpha_1/web/package-lock.json", "alpha_1", code) == ("generated", "path") and told("alpha_1/x/node_modules/y/z.py", "alpha_1", body(11)) == ("copied", "path")
+    assert told("alpha_1/node_modules/own.py", "alpha_1", code) == (None, None) and told("alpha_1/own.min.js", "alpha_1", code) == (None, None)
+
+
+def test_modules_that_only_copies_use(spark):
+    use = "from tarlib.inner import a\nfrom publib.api import b\n"
+    files = [
+        ("alpha_1/vendor/tarlib/m.py", "alpha_1", "python", f"# vendored: tarlib@1.2.3\n{use}{body(21)}"),
+        ("beta_2/x/m.py", "beta_2", "python", f"{use}{body(22)}"),  # from within tarlib, though nothing else says so
+        ("beta_2/x/n.py", "beta_2", "python", f"from beta_2.core import c\nfrom publib.api import b\n{body(23)}"),
+        ("gamma_3/y.py", "gamma_3", "python", f"from publib.api import b\nfrom numlib.linear import c\n{body(24)}"),
+    ]
+    assert run(spark, files) == {"alpha_1/vendor/tarlib/m.py": "copied", "beta_2/x/m.py": "copied"}
+
+
+def test_a_hot_band_makes_no_pairs_within_a_repository(spark):
+    base = body(31, 30)
+    rows = [(f"alpha_1/p{k}.py", "alpha_1", "python", f"{base}x_{k} = {k}\n") for k in range(60)]
+    assert run(spark, rows) == {}
+    got = run(spark, [*rows, ("beta_2/q.py", "beta_2", "python", base)])
+    assert set(got) == {r[0] for r in rows} | {"beta_2/q.py"}  # which of them was first cannot be told

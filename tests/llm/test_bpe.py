@@ -37,3 +37,13 @@ def test_operator(spark):
     got = sorted(((r.doc_id or 0, len(r.ids)) for r in bpe.encode(df, df.doc_id, df.text).collect()))
     assert [g for g in got if g[0] < 5] == [(0, 1), (1, 2), (1, 2), (2, 0), (3, 0)] and got[-1][1] > 10
     assert bpe.encode(df.limit(0), df.doc_id, df.text).count() == 0
+
+
+def test_the_same_name_in_another_folder_is_another_vocabulary(spark, tmp_path):
+    import base64
+
+    (tmp_path / "byte_bpe_50k.tiktoken").write_bytes(b"".join(base64.b64encode(bytes([k])) + f" {255 - k}\n".encode() for k in range(256)))
+    df = spark.createDataFrame([(1, "ab")], "doc_id long, text string").coalesce(1)
+    one = bpe.encode(df, df.doc_id, df.text).first().ids
+    two = bpe.encode(df, df.doc_id, df.text, folder=str(tmp_path)).first().ids
+    assert two == [255 - 97, 255 - 98] and one != two and bpe.encode(df, df.doc_id, df.text).first().ids == one

@@ -59,3 +59,25 @@ def test_cases(spark):
     report = {r.item_id: (r.n_documents, r.n_sources) for r in leakage.leak_report(leakage.leaks(d, t), d, t).collect()}
     assert report[0] == (8, 2) and report[1] == (1, 1) and report[29] == (0, 0)
     assert leakage.leaks(d.limit(0), t).count() == 0 and leakage.leaks(d, t.limit(0)).count() == 0
+
+
+def test_short_items_with_a_change_in_every_six_words():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    for n in (8, 9, 10, 12, 13, 16, 20, 23):
+        for changes in range(n // 6 + 1):
+            for _ in range(20):
+                item = [word() for _ in range(n)]
+                said = list(item)
+                for c in range(changes):
+                    said[c * 6 + r.randrange(6)] = word()
+                items = leakage.Items([(1, " ".join(item)), *((k, " ".join(word() for _ in range(30))) for k in range(2, 6))])
+                noise = lambda: [word() for _ in range(30)]
+                assert items.find(" ".join([*noise(), *said, *noise()])) == [1], (n, changes)
+                assert items.find(" ".join([*noise(), *item[: n // 2], *noise(), *noise(), *item[n // 2 + 2 :]])) == [] or n > 16
+    assert leakage.Items([(1, "one two three four five six seven")]).find("one two three four five six seven") == []
+
+
+def test_very_many_tokens():
+    items = leakage.Items([(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(90_000)])  # 2.7 million tokens
+    assert items.find("so " + " ".join(f"w89999x{j}" for j in range(30))) == [89_999] and items.find("w1x1 w2x2 " * 40) == []

@@ -98,7 +98,7 @@ class Encoder:
 
 
 #: One for each vocabulary and worker process.
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encode(df: DataFrame, key: Column, text: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -111,9 +111,9 @@ def encode(df: DataFrame, key: Column, text: Column, name: str = "byte_bpe_50k",
     rows = df.select(key.cast("long").alias("doc_id"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(name)
+        encoder = _ENCODERS.get((folder, name))
         if encoder is None:
-            encoder = _ENCODERS[name] = Encoder(ranks.value)
+            encoder = _ENCODERS[folder, name] = Encoder(ranks.value)
         for b in batches:
             lists = [encoder.encode(t) if t else [] for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)

@@ -25,10 +25,12 @@ INFORMATION = 0.55
 #: Seeds that a stretch of a document must share with an item before it is tiled: WINDOW words with a change in every six
 #: keep at least this many of their runs of three tokens.
 SEEDS = 6
+#: Words in common that are no case; shorter items cannot leak.
+NO_CASE = 7
 #: Tokens between seeds of one stretch.
 GAP = 40
-#: Longest list of items that is broadcast; it is a held-out test set, of a fixed size.
-MOST_ITEMS = 200_000
+#: Most items that are broadcast, and most characters of their texts; they are a held-out test set, of a fixed size.
+MOST_ITEMS, MOST_CHARACTERS = 200_000, 64_000_000
 
 _BREAK = re.compile("[-\u2010\u2011\u00ad][ \\t]*\\r?\\n[ \\t]*(?://+|#+|\\*+|>+|--|;+|%+)?[ \\t]*")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\\\\_]")
@@ -51,6 +53,25 @@ def words(text: str) -> list[list[str]]:
     return [t for t in (_TOKEN.findall(w) for w in plain(text).split()) if t]
 
 
+_MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
+
+
+def _code(run: list[int]) -> int:
+    """A hash of a run of token numbers, as candidates() makes it of whole texts; tiles compare the tokens themselves."""
+    h = run[0]
+    for x in run[1:]:
+        h = ((h + int(_ODD)) * int(_MIX) + x) % (1 << 64)
+    return h
+
+
+def _least(n_words: int, n_tokens: int) -> int:
+    """Seeds that an item of so many words keeps at least with a change in every six words."""
+    if n_words >= WINDOW:
+        return SEEDS
+    # a change takes away the two runs of two that hold it; of few words one in six, rounded up, may change
+    return max(1, n_tokens - 1 - 2 * max(1, math.ceil(n_words / 6)) - (n_tokens - n_words))
+
+
 class Items:
     """Test items as token numbers, with the index of their seeds."""
 
@@ -58,7 +79,7 @@ class Items:
         self.ids, self.tokens, self.word_of, self.numbers = [], [], [], {}
         for item, text in rows:
             ws = words(text or "")
-            if not ws:
+            if len(ws) <= NO_CASE:
                 continue
             self.ids.append(item)
             self.tokens.append([self.numbers.setdefault(t, len(self.numbers)) for w in ws for t in w])
@@ -66,28 +87,35 @@ class Items:
         n = max(2, len(self.ids))
         df = Counter(t for x in self.tokens for t in set(x))
         self.weight = [math.log((n + 1) / df[t]) + 0.02 if t in df else 0.0 for t in range(len(self.numbers))]
-        seeds = defaultdict(set)
-        self.base = len(self.numbers) + 2
+        seeds, width = defaultdict(set), []
         for k, x in enumerate(self.tokens):
-            for i in range(max(0, len(x) - 2)):
-                seeds[(x[i] * self.base + x[i + 1]) * self.base + x[i + 2]].add(k)
-        self.codes = np.array(sorted(seeds), dtype=np.int64)
+            # a short item may keep few of its runs of three, or none: then runs of two are its seeds, and fewer are asked for
+            short = self.word_of[k][-1] + 1 < WINDOW
+            w = 2 if short else 3
+            width.append(w)
+            for i in range(max(0, len(x) - w + 1)):
+                seeds[_code(x[i : i + w])].add(k)
+        self.least = np.array([_least(w[-1] + 1, len(w)) for w in self.word_of], dtype=np.int64)
+        self.codes = np.array(sorted(seeds), dtype=np.uint64)
         lists = [sorted(seeds[c]) for c in self.codes.tolist()]
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         self.members = np.array([k for x in lists for k in x], dtype=np.int64)
 
     def candidates(self, tokens: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first, last): stretches of the document with enough seeds of the item."""
-        if len(tokens) < 3 or not len(self.codes):
+        if len(tokens) < 2 or not len(self.codes):
             return
-        t = tokens.astype(np.int64)
-        code = (t[:-2] * self.base + t[1:-1]) * self.base + t[2:]
-        code[(t[:-2] < 0) | (t[1:-1] < 0) | (t[2:] < 0)] = -1
+        t, known = tokens.astype(np.uint64), tokens >= 0
+        two = (t[:-1] + _ODD) * _MIX + t[1:]
+        three = np.append((two[:-1] + _ODD) * _MIX + t[2:], _ODD)  # the last has no third
+        whole = np.append(known[:-2] & known[1:-1] & known[2:], False)
+        code, good = np.concatenate([two, three]), np.concatenate([known[:-1] & known[1:], whole])
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        where = np.flatnonzero(self.codes[at] == code)
-        if len(where) < SEEDS:
+        where = np.flatnonzero(good & (self.codes[at] == code))
+        if not len(where):
             return
         lo, n = self.starts[at[where]], self.starts[at[where] + 1] - self.starts[at[where]]
+        where = where % len(two)
         pos = np.repeat(where, n)
         member = self.members[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
         order = np.lexsort((pos, member))
@@ -95,7 +123,7 @@ class Items:
         cut = np.flatnonzero((member[1:] != member[:-1]) | (pos[1:] - pos[:-1] > GAP)) + 1
         bounds = np.concatenate([[0], cut, [len(member)]])
         for a, b in zip(bounds[:-1], bounds[1:]):
-            if b - a >= SEEDS:
+            if b - a >= self.least[member[a]]:
                 yield int(member[a]), int(pos[a]), int(pos[b - 1]) + 3
 
     def _may_hold(self, k: int, stretch: list[int]) -> bool:
@@ -168,15 +196,18 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id), distinct: documents that hold an item, or a window of at least WINDOW of its words.
 
     Differences in layout, case, punctuation, markup and typography do not matter, nor interruptions or words changed,
-    dropped or added up to about one in six. Null and empty texts leak nothing. Documents are read whole.
+    dropped or added up to about one in six. Items of up to NO_CASE words are no case. Null and empty texts leak nothing.
+    Documents are read whole.
 
     The test items, a fixed set whose size is checked, are broadcast with the index of their seeds, so the join on shared
     seeds is a map over the corpus without a shuffle; only stretches with enough seeds are tiled.
     """
     spark = documents.sparkSession
-    rows = items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct().limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} test items; give them in parts")
+    asked = items.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    if size.n > MOST_ITEMS or size.chars > MOST_CHARACTERS:
+        raise ValueError(f"more than {MOST_ITEMS} test items or {MOST_CHARACTERS} characters; give them in parts")
+    rows = asked.collect()
     index = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,8 +17,8 @@ from .tagger import KINDS
 
 #: Weights that train_pii writes.
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
-#: Characters that are tagged at a time, and the gap between texts in the stream.
-CHUNK, BETWEEN = 1_000_000, 24
+#: Characters that are tagged at a time.
+CHUNK = 1_000_000
 #: Rows of a partition.
 ROWS = 2500
 
@@ -31,6 +31,9 @@ _PHONE_BROKEN = re.compile(rf"(?<![\w.+])\+?{_GROUP}(?:[\s\-‐‑‒–./]{{0,3
 _ID = re.compile(
     r"(?<!\w)(?:[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z]|[A-Z]{1,2}\d{6,8}[A-Z]?|\d{7,9}\s?-?\s?[A-Z]|\d{4}[ -]\d{4}[ -]\d{4}|\d{3}[-\s]\d{2}[-\s]\d{4}|\d{2,3}/\d{3}/\d{4,5}|\d{2}\s\d{3}\s\d{3}\s\d{3}|\d{9,12})(?!\w)"
 )
+#: Groups of 3, 2 and 4 digits, or parted by two strokes, are written for identity numbers alone; of 3, 3 and 4 for phones.
+_NO_PHONE = re.compile(r"\d{3}[-\s]\d{2}[-\s]\d{4}|\d{2,3}/\d{3}/\d{4,5}")
+_NO_ID = re.compile(r"\d{3}[.\u2011-]\d{3}[.\u2011-]\d{4}")
 _PLACE = r"[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ]?[\w'’]+)*"
 _WAY = r"(?:Street|Road|Lane|Avenue|Close|Court|Row|Way|Drive|Place|Terrace|Square|Crescent|Boulevard|Hill|St|Rd|Ave|Ln|Dr|Ct|Blvd)\b\.?"
 _ADDRESS = [
@@ -46,6 +49,7 @@ _ADDRESS = [
 ]
 _TITLE = re.compile(r"^(?:(?:Frau|Herrn?|Mrs?|Ms|Dr|Prof|Sir|Madame|Mme|Monsieur|Señora?|Sra?|Don|Doña)\b\.?\s+)+", re.I)
 _PARTICLES = {"van", "von", "de", "del", "della", "der", "den", "di", "da", "do", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "zu", "y", "e"}
+_GAP = np.zeros(1, dtype=np.uint8)
 _EDGE = " \t\r\n,;:.!?\"'()[]{}<>|/*#=-–"
 
 
@@ -80,12 +84,18 @@ def _words(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """The exact ends of what the tagger saw at [a, b), or None if it has no form of its kind."""
+    """The exact ends of what the tagger saw at [a, b), or None if it cannot be of its kind. Patterns mend the ends of the usual
+    forms; other forms keep the tagger's ends, out to whole words."""
     if kind == "email":
-        return _best([_EMAIL], text, a, b, 60)
+        span = _best([_EMAIL], text, a, b, 60)
+        if span:
+            return span
+        a, b = _words(text, a, b)
+        return (a, b) if b - a >= 6 and re.search(r"@|\bat\b", text[a:b], re.I) and not re.search(r"[/:;,]", text[a:b]) else None
     if kind == "phone":
-        span = _best([_PHONE_BROKEN if "\n" in text[a:b].strip() else _PHONE], text, a, b, 24)
-        return span if span and 7 <= sum(c.isdigit() for c in text[span[0] : span[1]]) <= 15 else None
+        span = _best([_PHONE_BROKEN if "\n" in text[a:b].strip() else _PHONE], text, a, b, 24) or _words(text, a, b)
+        own = text[span[0] : span[1]]
+        return span if 7 <= sum(c.isdigit() for c in own) <= 15 and not re.search(r"[A-Za-z_:]{2}|[=<>{}]", own) else None
     if kind == "id_number":
         span = _best([_ID], text, a, b, 16)
         if span:
@@ -97,8 +107,8 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         if span:
             return span
         a, b = _words(text, a, b)
-        parted = re.search(r",|\n| [-–] ", text[a:b]) and not re.search(r"[(){}=]", text[a:b])
-        return (a, b) if b - a >= 10 and parted and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b]) else None
+        own = text[a:b]
+        return (a, b) if b - a >= 10 and len(own.split()) >= 3 and any(c.isdigit() for c in own) and not re.search(r"[(){}=<>@_]|://", own) else None
     a, b = _words(text, a, b)
     # a name goes on over hyphens and apostrophes within its words
     while b + 1 < len(text) and text[b] in "-'’" and text[b + 1].isalpha() and not re.match(r"['’][sS]\b", text[b:]):
@@ -110,6 +120,8 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     if text[a:b].endswith(("'s", "’s")):
         b -= 2
     words = [w for w in re.split(r"[\s,]+", text[a:b]) if w]
+    if re.match(rf"{_WAY},", text[a:b]):
+        return None  # the end of an address
     # a name has capitals in all its words, or in none; particles aside
     cases = {w[0].isupper() for w in words if w.lower() not in _PARTICLES and (w[0].isupper() or w[0].islower())}
     good = len(words) >= 2 and len(cases) == 1 and all(w[0].isalpha() for w in words) and sum(len(w.strip(".")) > 1 for w in words) >= 1
@@ -119,8 +131,9 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
 def find(weights: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) in each text, in order, without overlap: of two that overlap the longer, then the first.
 
-    The texts are one stream of character classes with gaps; it is cut into overlapping windows, each decoded by itself,
-    and what they say is reconciled over the whole stream.
+    A small network of the same kind, four characters a step, screens the whole of every text; what it keeps is cut into
+    overlapping windows, each decoded by itself, and what they say is reconciled over the whole text. What is found in a
+    text does not depend on the texts beside it.
     """
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     k = 0
@@ -128,17 +141,21 @@ def find(weights: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         first, size, parts, begins = k, 0, [], []
         while k < len(texts) and (size == 0 or size + len(texts[k]) < CHUNK):
             begins.append(size)
-            c = tagger.codes(texts[k])
-            parts += [c, np.zeros(BETWEEN, dtype=np.uint8)]
-            size += len(c) + BETWEEN
+            parts += [tagger.codes(texts[k]), _GAP]
+            size += len(texts[k]) + 1
             k += 1
-        tags = tagger.tag(weights, np.concatenate(parts))
-        at = np.array(begins)
-        for a, b, kind in tagger.spans(tags):
+        stream, at = np.concatenate(parts), np.array(begins)
+        kept = tagger.stretches(weights, stream, at, np.append(at[1:], size) - 1)
+        for a, b, kind in tagger.spans(tagger.tag(weights, stream, *kept)):
             i = int(np.searchsorted(at, a, side="right")) - 1
-            text, own = texts[first + i], a - begins[i]
-            if own < len(text) and (span := checked(text, own, min(len(text), b - begins[i]), KINDS[kind])):
-                out[first + i].append((*span, KINDS[kind]))
+            text = texts[first + i]
+            if span := checked(text, a - begins[i], b - begins[i], KINDS[kind]):
+                name = KINDS[kind]
+                if name == "phone" and _NO_PHONE.fullmatch(text, *span):
+                    name = "id_number"
+                elif name == "id_number" and _NO_ID.fullmatch(text, *span):
+                    name = "phone"
+                out[first + i].append((*span, name))
     return [_apart(x) for x in out]
 
 

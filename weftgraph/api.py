@@ -44,6 +44,11 @@ class Envelope:
         return d
 
 
+def graph_path(path: str | None) -> str:
+    """The absolute path of a graph, by default of the usual one below the working directory."""
+    return os.path.realpath(path or DEFAULT_GRAPH)
+
+
 def clamp_limit(value: int | None, default: int) -> int:
     return max(1, min(MOST_ROWS, default if value is None else value))
 
@@ -65,7 +70,7 @@ class Tools:
         self._graphs: dict[str, tuple[float, CodeGraph]] = {}
 
     def graph(self, path: str | None) -> CodeGraph:
-        path = path or DEFAULT_GRAPH
+        path = graph_path(path)
         if not os.path.exists(path):
             raise ToolError("GRAPH_NOT_FOUND", f"no graph at {path}; index a source first")
         parquet = os.path.isdir(path) and os.path.isdir(f"{path}/symbols")
@@ -106,9 +111,9 @@ class Tools:
             try:
                 with open_source(source) as (folder, kind):
                     r = index_folder(self.spark, folder, exclude or (), state)
-                    write_json(r.graph, path or DEFAULT_GRAPH)
+                    write_json(r.graph, graph_path(path))
                     return {
-                        "graph_path": path or DEFAULT_GRAPH, "source_kind": kind, "files_scanned": r.files_scanned, "files_indexed": r.files_indexed,
+                        "graph_path": graph_path(path), "source_kind": kind, "files_scanned": r.files_scanned, "files_indexed": r.files_indexed,
                         "files_reused": r.files_reused, "files_extracted": r.files_extracted, "stats": stats.stats_document(r.graph),
                     }
             except FileNotFoundError as e:

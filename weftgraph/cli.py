@@ -69,6 +69,16 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def snippets(here: str) -> str:
+    """What agent programs need in their settings to start the tools' server in a folder."""
+    run = [sys.executable, "-m", "weftgraph.server"]
+    forms = {
+        "servers with command and arguments": {"mcpServers": {"weftgraph": {"command": run[0], "args": run[1:], "cwd": here}}},
+        "servers with one command line": {"mcp": {"weftgraph": {"type": "local", "command": run, "cwd": here, "enabled": True}}},
+    }
+    return "\n".join(f"{name}:\n{json.dumps(form, indent=2)}" for name, form in forms.items()) + f"\nas a plain command: {shlex.join(run)}"
+
+
 class Shell:
     def __init__(self, spark: SparkSession):
         self.spark, self.g, self.path, self.raw = spark, None, None, False
@@ -100,6 +110,7 @@ class Shell:
                 print(f"{kind}: {r.files_scanned} files, {r.files_indexed} indexed, {r.files_reused} reused, {r.files_extracted} extracted; graph at {a.graph}")
                 if a.command == "init":
                     self._dashboard(self.load(a.graph), "tmp/dashboard.html", export.VISUAL_LIMIT)
+                    print(snippets(os.getcwd()))
             case "load":
                 self.load(a.path)
             case "where":

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import go_java_source, python_source, typescript_source
 from .rows import SCHEMA, Sink
 
-#: Language and its extractor: (path, bytes) to rows.
-EXTRACTORS: dict[str, Callable[[str, bytes], Sink]] = {
-    "python": python_source.extract,
-    "typescript": typescript_source.extract,
-    "go": go_java_source.extract_go,
-    "java": go_java_source.extract_java,
-}
+Extractor = Callable[[str, bytes], Sink]
+#: Module and function of each language's extractor, (path, bytes) to rows; a module is loaded when its language is first met.
+PLACES = {"python": ("python_source", "extract"), "typescript": ("typescript_source", "extract"), "go": ("go_java_source", "extract_go"), "java": ("go_java_source", "extract_java")}
+
+
+class ExtractorUnavailable(RuntimeError):
+    """A language's extractor is unknown or cannot be loaded; other languages are not touched by it."""
+
+
+class _Registry(dict):
+    def __missing__(self, language: str) -> Extractor:
+        if language not in PLACES:
+            raise ExtractorUnavailable(f"no extractor for {language!r}")
+        module, name = PLACES[language]
+        try:
+            self[language] = getattr(importlib.import_module(f".{module}", __name__), name)
+        except (ImportError, AttributeError) as e:
+            raise ExtractorUnavailable(f"the extractor for {language!r} cannot be loaded: {e}") from e
+        return self[language]
+
+
+EXTRACTORS: dict[str, Extractor] = _Registry()
 
 
 def extract_file(rel: str, language: str, content: bytes) -> Sink | None:

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import graph_queries, problem_queries
+from . import graph_queries, problem_queries, surface_queries
 
-_MODULES = [graph_queries, problem_queries]
+_MODULES = [graph_queries, problem_queries, surface_queries]
 
 
 def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

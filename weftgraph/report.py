@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 import tempfile
 from dataclasses import dataclass
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from .indexing import index_folder
 from .operators import accuracy
 from .operators.export import bounded_table
-from .runtime import stage
+from .runtime import local_path, shared_dir, stage
 from .sources.traces import health, read_calls
 from .tracing import run_traced
 
@@ -31,9 +34,56 @@ class Run:
         return None if self.failure or not s or not s["n_observed"] else s["n_matched"] / s["n_observed"]
 
 
+def checkout(repository: str, commit: str | None, workdir: str) -> str:
+    """A clone of an address or path at a commit; RuntimeError tells which step failed."""
+    place = os.path.join(workdir, "repos", repository.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git"))
+    if not os.path.isdir(f"{place}/.git"):
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        _step(f"could not clone {repository}", ["git", "clone", "--quiet", repository, place], workdir)
+    if commit:
+        _step(f"could not check out {commit}", ["git", "checkout", "--quiet", "--detach", commit], place)
+    return place
+
+
+def environment(place: str, requirements: list[str], workdir: str) -> str:
+    """The interpreter of a virtual environment beside, not within, the checkout, with the requirements."""
+    python = os.path.join(workdir, "venv", "bin", "python")
+    if not os.path.exists(python):
+        _step("could not build a virtual environment", [sys.executable, "-m", "venv", os.path.join(workdir, "venv")], workdir)
+    if requirements:
+        _step("could not install the requirements", [python, "-m", "pip", "install", "-q", *requirements], place)
+    return python
+
+
+def _step(why: str, command: list[str], cwd: str) -> None:
+    try:
+        done = subprocess.run(command, cwd=cwd, capture_output=True, text=True)
+    except OSError as e:
+        raise RuntimeError(f"{why}: {e}") from None
+    if done.returncode:
+        raise RuntimeError(f"{why}: {(done.stderr or done.stdout).strip()[-500:]}")
+
+
+def measure_repository(
+    spark: SparkSession, repository: str, command: list[str], workdir: str, commit: str | None = None, requirements: list[str] | None = None, python: str | None = None, install: bool = True
+) -> Run:
+    """A whole run: clone at the commit, environment, traced command (its arguments go to the interpreter), comparison. Each
+    step that fails is the reason of a run without figures. workdir must be a folder that executors share."""
+    try:
+        place = checkout(repository, commit, workdir)
+        if python is None:
+            if not install:
+                raise RuntimeError("no interpreter given and installation turned off")
+            python = environment(place, requirements or [], workdir)
+    except RuntimeError as e:
+        return Run(failure=str(e))
+    return measure(spark, place, [python, *command])
+
+
 def measure(spark: SparkSession, root: str, command: list[str]) -> Run:
-    """Traces the command in ``root``, indexes ``root`` and compares."""
-    with tempfile.TemporaryDirectory() as folder:
+    """Traces the command in ``root``, indexes ``root`` and compares. Traces go to the shared folder, where executors read
+    them."""
+    with tempfile.TemporaryDirectory(dir=local_path(shared_dir(spark)), prefix="trace-") as folder:
         why = run_traced(command, root, folder) or health(folder)
         if why:
             return Run(failure=why)

@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
     Where it is unset: on a local master a temporary folder that goes with the process, on a cluster a folder under
-    the SQL warehouse; a machine's own temporary folder is never used on a cluster.
+    the SQL warehouse if that is no machine's own; without either, a ValueError asks for the setting.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
@@ -33,18 +33,43 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="weftgraph-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     else:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith("file:") or "://" not in warehouse:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"{warehouse}/_staged"
     spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Sessions and paths of the tables that stage() wrote.
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def _remove_staged() -> None:
+    """Removes the staged tables, by the file system that holds them."""
+    for spark, path in _STAGED:
+        if "://" not in path:
+            shutil.rmtree(local_path(path), ignore_errors=True)
+            continue
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session is gone
+            return
+    _STAGED.clear()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as a table in the shared folder and read that back.
 
-    The written table outlives lost executors. A column of an own schema is kept, also for no rows.
+    The written table outlives lost executors and is removed when the driver ends. A column of an own schema is kept, also
+    for no rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _STAGED:
+        atexit.register(_remove_staged)
+    _STAGED.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

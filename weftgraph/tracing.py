@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import subprocess
@@ -53,11 +54,11 @@ class Recorder:
         return self.modules[file]
 
     def hook(self, frame: FrameType, event: str, arg: object) -> None:
-        if event != "call" or frame.f_back is None:
+        if event != "call" or frame.f_back is None or self.error:
             return
         here, there = frame.f_code, frame.f_back.f_code
         a, b = self._module(there.co_filename), self._module(here.co_filename)
-        if not (a and b) or here.co_qualname.startswith("<") or here.co_name.startswith("<"):
+        if not (a and b):
             return
         caller = scope_of(there.co_qualname)
         pair = (a, caller, b, here.co_qualname)
@@ -74,14 +75,16 @@ class Recorder:
             with open(f"{self.folder}/calls-{self.pid}.jsonl", "a", encoding="utf-8") as f:
                 f.writelines(json.dumps(p) + "\n" for p in self.pending)
             self.recorded += len(self.pending)
-        except OSError as e:
-            self.error = str(e)
+        except OSError as e:  # a trace that goes on would be a smaller one that still looks like a result
+            self.error = f"the trace could not be written: {e}"
+            sys.setprofile(None)
+            threading.setprofile(None)
         self.pending = []
         self.status(False)
 
     def status(self, finished: bool) -> None:
-        with open(f"{self.folder}/calls-{self.pid}.status.json", "w", encoding="utf-8") as f:
-            json.dump({"pid": self.pid, "recorded": self.recorded, "error": self.error or None, "finished": finished}, f)
+        with contextlib.suppress(OSError), open(f"{self.folder}/calls-{self.pid}.status.json", "w", encoding="utf-8") as f:
+            json.dump({"pid": self.pid, "recorded": self.recorded, "error": self.error or None, "finished": finished and not self.error}, f)
 
     def start(self) -> None:
         sys.setprofile(self.hook)
@@ -90,7 +93,8 @@ class Recorder:
     def stop(self) -> None:
         sys.setprofile(None)
         threading.setprofile(None)
-        self.flush()
+        if not self.error:
+            self.flush()
         self.status(True)
 
 

@@ -16,9 +16,9 @@ LENGTH, OVERLAP = 256, 48
 #: Characters that the screen reads in a step, of one of its windows and of their overlap.
 BLOCK, SCREEN_LENGTH, SCREEN_OVERLAP = 4, 512, 64
 #: Characters that are tagged on both sides of what the screen keeps.
-MARGIN = 48
+MARGIN = 32
 #: Windows of a batch; their states stay in the cache.
-ROWS = 256
+ROWS = 384
 _NEVER = np.float32(-1e4)
 
 

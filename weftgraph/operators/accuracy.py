@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import call_end, strip_scheme, symbol_key
+from ..functions.keys import strip_scheme, symbol_key, with_call_ends
 from ..graph import CodeGraph
 
 
@@ -26,7 +26,7 @@ def split_calls(g: CodeGraph) -> DataFrame:
 
 def observed_pairs(observed: DataFrame) -> DataFrame:
     """(caller, callee): distinct pairs of keys that a trace saw; a caller within a nested scope counts as the scope about it."""
-    pairs = observed.select(call_end(observed["caller"], True).alias("caller"), call_end(observed["callee"], False).alias("callee"))
+    pairs = with_call_ends(observed.select("caller", "callee"), {"caller": True, "callee": False})
     return pairs.filter(F.col("caller").isNotNull() & F.col("callee").isNotNull()).distinct()
 
 

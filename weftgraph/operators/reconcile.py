@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import field61 as gf
-from ..functions.keys import call_end
+from ..functions.keys import with_call_ends
 from ..runtime import stage
 
 #: Points of every sketch that only verify a recovered difference; a wrong one passes with a chance of about 2**-120.
@@ -142,8 +142,9 @@ def call_site_differences(observed: DataFrame, inferred: DataFrame) -> DataFrame
     """
 
     def current(df: DataFrame, when: str, tie: str) -> DataFrame:
-        f = {"caller": call_end(df["caller"], True), "callee": call_end(df["callee"], False), "file": df["file"], "line": df["line"]}
-        return latest(df.filter(df["site_id"].isNotNull()), df["site_id"], df[when], df[tie], f)
+        # ends are read after the current rows are known: once a site, where the reading's parts are worked out once
+        raw = latest(df.filter(df["site_id"].isNotNull()), df["site_id"], df[when], df[tie], {c: df[c] for c in ("caller", "callee", "file", "line")})
+        return with_call_ends(raw, {"caller": True, "callee": False})
 
     a, b = stage(current(observed, "recorded_at", "obs_id"), "sites-a"), stage(current(inferred, "indexed_at", "edge_no"), "sites-b")
     return field_differences(a, b, ["caller", "callee", "file", "line"], "only_observed", "only_inferred").withColumnRenamed("key", "site_id")

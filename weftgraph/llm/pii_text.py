@@ -710,7 +710,7 @@ class Source:
         k = r.random()
         if k < 0.4:
             return self._anywhere()
-        if k < 0.55 and self.contexts:
+        if k < 0.6 and self.contexts:
             parts = r.choice(self.contexts)
         else:
             parts, form, at = [""], r.choice(HOLDING), 0

@@ -39,3 +39,27 @@ def test_empty_tables(spark):
     assert graph_orphans(edges, inferred, symbols, external).count() == 0
     one = spark.createDataFrame([(1, "x", None, T[0])], edges.schema)
     assert [r.reason for r in graph_orphans(one, inferred, symbols, external).collect()] == ["missing"]
+
+
+def test_hot_ids_many_lives_and_sliced_filters(spark, monkeypatch):
+    """A hot id with very many lives, filters too small for all ids: as by brute force."""
+    import datetime as dt
+
+    from weftgraph.functions import bloom
+    from weftgraph.operators import orphans as o
+
+    monkeypatch.setattr(bloom, "MOST_BITS", 1 << 10)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    lives = [("hot", 10 * k, 10 * k + 4) for k in range(200)] + [("hot", 40, 47), ("open", 100, None)] + [(f"id{k}", k, k + 50) for k in range(300)]
+    refs = [(k, "hot", k % 2100) for k in range(3000)] + [(5000 + k, f"id{k % 350}", k) for k in range(700)] + [(9000, "open", 99), (9001, "open", 100), (9002, "open", 5000), (9003, "ext", 0), (9004, "hot", None)]
+    p = spark.createDataFrame([(i, day(a), None if b is None else day(b)) for i, a, b in lives], "id string, start timestamp_ntz, stop timestamp_ntz")
+    r = spark.createDataFrame([("t", n, "f", i, None if h is None else day(h)) for n, i, h in refs], "tbl string, row_id long, field string, ref string, at timestamp_ntz")
+    want = set()
+    for n, i, h in refs:
+        own = [(a, b) for x, a, b in lives if x == i]
+        if i == "ext" or (h is not None and any(a <= h and (b is None or h < b) for a, b in own)):
+            continue
+        reason = "missing" if not own else "late" if h is not None and all(a > h for a, _ in own) else "deleted"
+        want.add((n, reason))
+    got = o.orphan_references(r, p, spark.createDataFrame([("ext",), (None,)], "id string"))
+    assert {(x.row_id, x.reason) for x in got.collect()} == want and got.count() == len(want)

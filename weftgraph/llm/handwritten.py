@@ -56,7 +56,12 @@ _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|%|\"\"\"|''')")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _NUMBER = re.compile(r"(?<![\w$])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)\b")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
-_DEFINED = re.compile(r"\b(?:def|function|func|fn)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_]\w*)|\b(?:public|private|protected|static)\s+(?:[\w<>\[\],]+\s+)+?([A-Za-z_]\w*)\s*\(|^[ \t]+(?:async[ \t]+)?(?!(?:if|for|while|switch|catch|return|function|with)\b)([A-Za-z_]\w*)[ \t]*\([^()\n]*\)[ \t]*(?::[^={}\n]+)?\{", re.M)
+# names of functions by a keyword, by an access modifier, and of methods before a brace
+_BY_KEYWORD = r"\b(?:def|function|func|fn)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_]\w*)"
+_BY_ACCESS = r"\b(?:public|private|protected|static)\s+(?:[\w<>\[\],]+\s+)+?([A-Za-z_]\w*)\s*\("
+_BY_BRACE = r"^[ \t]+(?:async[ \t]+)?(?!(?:if|for|while|switch|catch|return|function|with)\b)([A-Za-z_]\w*)[ \t]*\([^()\n]*\)[ \t]*(?::[^={}\n]+)?\{"
+_DEFINED = {(a, b): re.compile("|".join([_BY_KEYWORD, *[_BY_ACCESS] * a, *[_BY_BRACE] * b]), re.M) for a in (False, True) for b in (False, True)}
+_ACCESS = re.compile(r"public|private|protected|static")
 _COUNTED = re.compile(r"^[^=\n(]*?\b[A-Za-z]\w*?(\d+)\b[^=\n(]*:?=\s*(\d+)\s*[;,]?\s*$", re.M)
 _TYPE = re.compile(r"\b(?:class|interface|struct|enum)\s+[A-Za-z_]")
 _INNER = re.compile(r"^\s*(?:from\s+([A-Za-z_]\w*)\.([\w.]+)\s+import\b|import\s+([A-Za-z_]\w*)\.([\w.]+)\s*;?\s*$|(?:import\s+)?\"([A-Za-z_]\w*)/([\w/]+)\"\s*$)", re.M)
@@ -97,18 +102,20 @@ def shape(text: str, script: bool) -> str | None:
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
         return None
-    short = sum(len(x) <= 2 for x in names) / max(1, len(names))
+    short = len([x for x in names if len(x) <= 2]) / max(1, len(names))
     mean = len(text) / len(lines)
     longest = max(map(len, lines))
     if len(names) >= 20 and short > 0.5 and (mean > 60 or script):
         return "minified"
     if longest > 1000 and sum(len(x) for x in lines if len(x) > 500) > 0.8 * len(text) and len(names) > 0.05 * len(text) and sum(x.isspace() for x in text) < 0.1 * len(text):
         return "minified"
-    found = [next(filter(None, x)) for x in _DEFINED.findall(strings)]
+    defined = _DEFINED[bool(_ACCESS.search(strings)), "{" in strings].findall(strings)
+    found = [x if isinstance(x, str) else next(filter(None, x)) for x in defined]
+    typed = bool(_TYPE.search(strings))
     literal = sum(map(len, _STRING.findall(text))) + sum(map(len, _NUMBER.findall(strings)))
-    if not found and not _TYPE.search(strings) and literal > 0.5 * len(text) and len(text) > 200:
+    if not found and not typed and literal > 0.5 * len(text) and len(text) > 200:
         return "data"
-    if len(lines) >= 12 and not found and not _TYPE.search(strings):
+    if len(lines) >= 12 and not found and not typed:
         cells = [x.count(",") for x in lines]
         if min(cells) >= 2 and max(cells) == min(cells) and "(" not in text:
             return "data"
@@ -116,7 +123,7 @@ def shape(text: str, script: bool) -> str | None:
     bare = 0 if literal < 5 * len(lines) else sum(1 for x in lines if len(x) > 20 and sum(map(len, _STRING.findall(x))) + sum(map(len, _NUMBER.findall(_STRING.sub(" ", x)))) > 0.5 * len(x.strip()))
     if bare >= 12 and bare > 0.5 * len(lines):
         return "data" if not found else "generated"
-    counted = sum(a == b for a, b in _COUNTED.findall(text))
+    counted = sum(a == b for a, b in _COUNTED.findall(text)) if text.count("=") > 0.5 * len(lines) else 0
     if counted >= 8 and counted > 0.5 * len(lines):
         return "generated"
     ends = [re.search(r"(\d+)$", x) for x in found]

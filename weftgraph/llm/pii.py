@@ -31,8 +31,9 @@ _PHONE_BROKEN = re.compile(rf"(?<![\w.+])\+?{_GROUP}(?:[\s\-‐‑‒–./]{{0,3
 _ID = re.compile(
     r"(?<!\w)(?:[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z]|[A-Z]{1,2}\d{6,8}[A-Z]?|\d{7,9}\s?-?\s?[A-Z]|\d{4}[ -]\d{4}[ -]\d{4}|\d{3}[-\s]\d{2}[-\s]\d{4}|\d{2,3}/\d{3}/\d{4,5}|\d{2}\s\d{3}\s\d{3}\s\d{3}|\d{9,12})(?!\w)"
 )
-#: Groups of 3, 2 and 4 digits, or parted by two strokes, are written for identity numbers alone; of 3, 3 and 4 for phones.
-_NO_PHONE = re.compile(r"\d{3}[-\s]\d{2}[-\s]\d{4}|\d{2,3}/\d{3}/\d{4,5}")
+#: Groups of 3, 2 and 4 or of three times 4 digits, or parted by two strokes, are written for identity numbers alone; of 3, 3 and
+#: 4 for phones.
+_NO_PHONE = re.compile(r"\d{3}[-\s]\d{2}[-\s]\d{4}|\d{4}[-\s]\d{4}[-\s]\d{4}|\d{2,3}/\d{3}/\d{4,5}")
 _NO_ID = re.compile(r"\d{3}[.\u2011-]\d{3}[.\u2011-]\d{4}")
 _PLACE = r"[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ]?[\w'’]+)*"
 _WAY = r"(?:Street|Road|Lane|Avenue|Close|Court|Row|Way|Drive|Place|Terrace|Square|Crescent|Boulevard|Hill|St|Rd|Ave|Ln|Dr|Ct|Blvd)\b\.?"

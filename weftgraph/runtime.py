@@ -46,16 +46,17 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def _remove_staged() -> None:
-    """Removes the staged tables, by the file system that holds them."""
+    """Removes the staged tables, by the file system that holds them; after the session's end only those of local paths."""
+    alive = True
     for spark, path in _STAGED:
-        if "://" not in path:
-            shutil.rmtree(local_path(path), ignore_errors=True)
-            continue
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            if alive:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # noqa: BLE001 - the session is gone
-            return
+            alive = False
+        if not alive and "://" not in path:
+            shutil.rmtree(local_path(path), ignore_errors=True)
     _STAGED.clear()
 
 

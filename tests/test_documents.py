@@ -1,14 +1,17 @@
 import gzip
+import json
 import os
 import tracemalloc
 
 import pytest
-from graphs import make
+from graphs import EDGES, make
 from pyspark.sql import functions as F
 
 from weftgraph.graph import CodeGraph
 from weftgraph.sources import graph_json
 
+E = "type", "source", "target", "language", "confidence", "file", "line"
+
 
 def peak(work):
     tracemalloc.start()
@@ -28,3 +31,25 @@ def test_the_driver_holds_no_document(spark, tmp_path, name):
     assert max(wrote, read) < 20e6 < len((gzip.open if name.endswith("gz") else open)(path, "rb").read())
     assert back.meta == g.meta and os.listdir(tmp_path / "deep") == [name]
     assert back.edges.filter(F.col("seq") != n - 1 - F.col("line")).count() == 0 and back.edges.count() == n
+
+
+def test_edges_in_pieces(spark, tmp_path, monkeypatch):
+    """Repeats of whole rows go, those of other rows stay; the pieces' order is that of seq; the text is that of json.dump."""
+    rows = [(k // 2, "CALLS", f"s{k // 4}", 't"\\\n\x1fé', "python", None, "f", k // 2) for k in range(400)]
+    e = spark.createDataFrame(rows[::-1], EDGES).repartition(7)
+    g = CodeGraph(make(spark, [], []).symbols, e.distinct(), {"edges": [{"a": "]}"}]}, all_edges=e)
+    want = sorted(set(rows))
+    monkeypatch.setattr(graph_json, "BLOCK", 300)
+    monkeypatch.setattr(graph_json, "BATCH", 3)
+    for name in ("g.json", "g.json.gz"):
+        graph_json.write_json(g, str(tmp_path / name))
+        back = graph_json.read_json(spark, str(tmp_path / name))
+        assert [tuple(r) for r in back.edges.select("seq", *E).orderBy("seq").collect()] == want and back.meta == g.meta
+    text = (tmp_path / "g.json").read_text()
+    doc = json.loads(text)
+    assert text == json.dumps(doc, indent=2, sort_keys=True, ensure_ascii=False) == gzip.open(tmp_path / "g.json.gz", "rt").read()
+    (tmp_path / "one-line.json").write_text(json.dumps(doc))
+    (tmp_path / "one-member.gz").write_bytes(gzip.compress(text.encode()))
+    for name in ("one-line.json", "one-member.gz"):
+        back = graph_json.read_json(spark, str(tmp_path / name))
+        assert [tuple(r) for r in back.edges.select("seq", *E).orderBy("seq").collect()] == want

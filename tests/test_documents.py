@@ -53,3 +53,22 @@ def test_edges_in_pieces(spark, tmp_path, monkeypatch):
     for name in ("one-line.json", "one-member.gz"):
         back = graph_json.read_json(spark, str(tmp_path / name))
         assert [tuple(r) for r in back.edges.select("seq", *E).orderBy("seq").collect()] == want
+
+
+def test_symbols_of_odd_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph_json, "BLOCK", 16)
+    path = tmp_path / "g.json"
+
+    def read(symbols, more=""):
+        path.write_text('{"schema_version": "2.0.0", "symbols": ' + symbols + more + "}")
+        return [tuple(r) for r in graph_json.read_json(spark, str(path)).symbols.orderBy("ord").select("ord", "id", "line", "metadata").collect()]
+
+    assert read('[{"id": "a", "line": 1}, {"id": null}, {"id": "a", "line": 2}, {"id": "b\\\\\\"{", "metadata": {"k": ["}]"]}}]') == [(0, "a", 1, None), (3, 'b\\"{', None, '{"k":["}]"]}')]
+    assert read('[{"id": "a"}]', ', "s\\u0079mbols": [{"id": "b"}]') == [(0, "b", None, None)]
+    assert read("[ ]") == []
+    for wrong in ('[{"id": "a"},]', '[{"id": "a"} {"id": "b"}]', '[{"id": "a"},,{"id": "b"}]', "[5]", "[null]", '[{"id": "a\nb"}]', '[{"id": "a"}', '{"id": 1}', '[{"id": "a"}] x', '[{"id": "a"}, {"idd": "b"}]'):
+        with pytest.raises(graph_json.InvalidGraph):
+            read(wrong)
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(b'{"schema_version": "2.0.0"}')[:-9])
+    with pytest.raises(graph_json.InvalidGraph):
+        graph_json.read_json(spark, str(tmp_path / "cut.gz"))

@@ -72,3 +72,14 @@ def test_symbols_of_odd_documents(spark, tmp_path, monkeypatch):
     (tmp_path / "cut.gz").write_bytes(gzip.compress(b'{"schema_version": "2.0.0"}')[:-9])
     with pytest.raises(graph_json.InvalidGraph):
         graph_json.read_json(spark, str(tmp_path / "cut.gz"))
+
+
+def test_the_driver_holds_no_symbols(spark, tmp_path):
+    """Most of the text is symbols with metadata; all come back, with their rank."""
+    n, path = 60_000, str(tmp_path / "g.json")
+    rows = spark.range(n).selectExpr("cast(id as string) id", "'function' type", "'python' language", "'f' name", "'m.py' file", "int(id) line", f"{n} - id ord", """to_json(struct(array_repeat('argument', 20) args)) metadata""")
+    g = CodeGraph(rows, make(spark, [], []).edges, {})
+    _, wrote = peak(lambda: graph_json.write_json(g, path))
+    back, read = peak(lambda: graph_json.read_json(spark, path))
+    assert max(wrote, read) < 20e6 < os.path.getsize(path)
+    assert back.symbols.filter((F.col("ord") == n - 1 - F.col("line")) & (F.col("metadata").like('{"args":["argument",%'))).count() == n == back.symbols.count()
